@@ -53,7 +53,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop_path)
     fs.deleteOnExit(hadoop_path)
-    return path
+    named = fs.makeQualified(hadoop_path).toString()  # with its scheme, so that workers reach it as well
+    return f"file://{named[5:]}" if named.startswith("file:/") and not named.startswith("file://") else named
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

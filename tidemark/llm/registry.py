@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from tidemark.llm import lines, mixing, packing
+from tidemark.llm import html, language, lines, media, mixing, neighbours, packing, quality, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_quality": quality.op2_quality,
+    "op4_media": media.op4_media,
     "op5_mixing": mixing.op5_mixing,
+    "op6_html": html.op6_html,
+    "op7_neighbours": neighbours.op7_neighbours,
+    "op8_warc": warc.op8_warc,
     "op9_packing": packing.op9_packing,
+    "op10_language": language.op10_language,
 }
 
 ORACLES = {
     "op1_line_dedup": lines.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_neighbours": neighbours.ORACLE,
+    "op8_warc": warc.ORACLE,
 }

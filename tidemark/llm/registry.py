@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import html, language, lines, media, mixing, neighbours, packing, quality, warc
+from tidemark.llm import html, jaccard, language, lines, media, mixing, neighbours, packing, quality, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_quality": quality.op2_quality,
+    "op3_ngram_join": jaccard.op3_ngram_join,
     "op4_media": media.op4_media,
     "op5_mixing": mixing.op5_mixing,
     "op6_html": html.op6_html,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": lines.ORACLE,
+    "op3_ngram_join": jaccard.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_neighbours": neighbours.ORACLE,
     "op8_warc": warc.ORACLE,

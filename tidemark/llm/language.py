@@ -1,7 +1,7 @@
 """Language ID by compression: a raw-content zstandard dictionary a language; the dictionary under which a text is smallest wins.
 
-The dictionaries come from a bounded sample of labelled texts: PER_LANGUAGE documents a language, those of least hash, up to
-SLICE characters of each. A dictionary holds DICTIONARY bytes of the words that most set its language's documents apart from every other's, the
+The dictionaries come from a bounded sample of labelled texts: PER_LANGUAGE different texts a language, those of least hash, up to
+SLICE characters of each, for at most LANGUAGES languages. A dictionary holds DICTIONARY bytes of the words that most set its language's documents apart from every other's, the
 most telling last; whole passages would match copies of themselves in texts of other languages. Scoring covers whole texts, in
 pieces of PIECE bytes so that the dictionary bears on every part of a text; the sizes of all pieces are summed.
 
@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import held, small_batches, strings, table
 
 PER_LANGUAGE = 400
+#: Languages that can be learned: the most frequent ones.
+LANGUAGES = 1000
 SLICE = 2048
 DICTIONARY = 24 << 10
 PIECE = 512
@@ -44,13 +45,19 @@ def plain(text: str) -> str:
 
 def language_samples(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, bytes]:
     """Dictionary content by language, from labelled rows of docs (text, lang)."""
-    order = F.xxhash64("text")
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", order.alias("h"), F.substring("text", 1, SLICE).alias("part"))
-    least = known.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
-    rows = known.join(least, ["lang", "h"]).select("lang", "h", "part").distinct().collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return {}
+    # a hash below this lets twice per_language texts of each language through: as many rows, however many there are
+    cut = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * per_language / r["count"]))])
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    near = known.where(draw < F.try_element_at(cut, F.col("lang"))).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SLICE).alias("part"))
+    rows = near.dropDuplicates(["lang", "h"]).collect()
     texts: dict[str, list[set[str]]] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.h)):
-        texts.setdefault(row.lang, []).append(set(plain(row.part).split()))
+    for row in sorted(rows, key=lambda r: (r.lang, r.h % (1 << 30), r.h)):
+        if len(texts.setdefault(row.lang, [])) < per_language:
+            texts[row.lang].append(set(plain(row.part).split()))
     return {lang: telling_words(lang, texts) for lang in texts}
 
 

@@ -45,7 +45,7 @@ def apportion(parts: DataFrame, group: Sequence[str], key: Sequence[str], votes:
         "__base", F.when(F.col("__v") > 0, F.floor(F.col(votes) * F.col(seats) / F.col("__v") + 0.5)).otherwise(0).cast("long")
     )
     rated = rated.withColumn("__open", F.col(seats) - F.sum("__base").over(every)).withColumn("__n", F.count(F.lit(1)).over(every))
-    most = F.ceil((F.abs("__open") + F.col("__n")) * F.col(votes) / F.col("__v")).cast("long") + 1
+    most = F.ceil(F.try_divide((F.abs("__open") + F.col("__n")) * F.col(votes), F.col("__v"))).cast("long") + 1
     k = F.when(F.col("__open") > 0, F.col("__base") + F.col("__j")).otherwise(F.col("__base") - F.col("__j") + 1)
     tie_up = [F.col(c).asc_nulls_last() for c in key]
     tie_down = [F.col(c).desc_nulls_first() for c in key]
@@ -140,14 +140,15 @@ WORD_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a row for each whole copy and for each cut piece, with text and n_chars of that piece."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mixed = mix_sources(docs, rest)
+    given = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    mixed = mix_sources(given, ["text", "row"]).where("taken > 0")
     copies = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
     pieces = F.filter(F.concat(copies, F.array(cut(F.col("text"), F.col("tail_from"), F.col("tail_to")), cut(F.col("text"), F.lit(0).cast("long"), F.col("head_to")))), lambda x: x.isNotNull())
-    rows = mixed.where("taken > 0").withColumn("text", F.explode(pieces))
+    rows = mixed.select("row", F.explode(pieces).alias("piece"))
+    own = {"text": F.col("piece")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        own["n_chars"] = F.length("piece").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = f"""

@@ -195,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, limit: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     found = sorted(rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, x binary").collect())
-    x = np.array([np.frombuffer(r.x, np.float32) for r in found]).reshape(len(found), -1)
+    if not found:
+        return Network(0.5)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in found])
     y = np.array([float(r.label) for r in found])
     return fit(x, y, np.array([zlib.crc32(b"keep%d" % r.doc_id) % 5 == 0 for r in found], bool))
 

@@ -80,6 +80,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     long_ones = pages.select(F.col("page_id").cast("long"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).where(F.octet_length("payload") >= REVISIT_BYTES)
     first = long_ones.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "shared-payloads")  # as a table it can meet a very frequent payload in parts
     rows = rows.join(first, "digest", "left")
     return rows.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 

@@ -72,18 +72,18 @@ def centroids(each: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> dict[s
 
 
 def assign(each: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
-    """A row for each cell of each vector: (cell, id, home, cells, v, n)."""
+    """A row for each cell of each vector: (cell, id, kind, home, cells, v, n); kind tells labels apart."""
     first, at = {}, 0
     for label in sorted(centres):
         first[label], at = at, at + len(centres[label])
-    fields = [("cell", pa.int64()), ("id", pa.int64()), ("home", pa.int64()), ("cells", pa.list_(pa.int64())), ("v", pa.binary()), ("n", pa.int64())]
+    fields = [("cell", pa.int64()), ("id", pa.int64()), ("kind", pa.int64()), ("home", pa.int64()), ("cells", pa.list_(pa.int64())), ("v", pa.binary()), ("n", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         for batch in batches:
             out = []
-            for i, label, v, n in zip(*[batch.column(c).to_pylist() for c in ("id", "label", "v", "n")]):
+            for i, kind, label, v, n in zip(*[batch.column(c).to_pylist() for c in ("id", "kind", "label", "v", "n")]):
                 x = np.array(v)
                 x /= np.linalg.norm(x)
                 if label in centres:
@@ -92,12 +92,12 @@ def assign(each: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
                 else:
                     cells = [-1 - zlib.crc32(label.encode())]  # two labels in one such cell: told apart below
                 for c in cells:
-                    out.append((c, i, cells[0], cells, x.tobytes(), n))
+                    out.append((c, i, kind, cells[0], cells, x.tobytes(), n))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
 
-    small = each.select("id", "label", "v", "n").mapInArrow(run, "cell bigint, id bigint, home bigint, cells array<bigint>, v binary, n bigint")
-    return small.join(each.select(F.col("id"), F.xxhash64("label").alias("kind")), "id")
+    rows = each.select("id", F.xxhash64("label").alias("kind"), "label", "v", "n")
+    return rows.mapInArrow(run, "cell bigint, id bigint, kind bigint, home bigint, cells array<bigint>, v binary, n bigint")
 
 
 def compare(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -140,15 +140,15 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vectors (vec_id, embedding, label) to vec_id, n_links, component_id, kept."""
     rows, each = distinct_vectors(vectors)
     rows, each = materialize(rows, "vector-ids"), materialize(each, "vectors")
-    cells = assign(each, centroids(each)).withColumnRenamed("cell", "group").withColumn("one", F.lit(1))
+    cells = materialize(assign(each, centroids(each)).withColumnRenamed("cell", "group").withColumn("one", F.lit(1)), "cells")
     found = each_pair_of_blocks(in_blocks(cells, "group", "one", BLOCK), "group", lambda t: compare(t, threshold), "id bigint, root bigint, n_links bigint")
     found = materialize(found, "vector-links")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("n_links").alias("links"))
     known = each.select("id", "n").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    known = materialize(known.select("id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root")), "vector-classes")
     named = materialize(rows.join(known, "id", "left"), "vector-groups")
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least"))
+    least = materialize(named.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least")), "vector-names")
     out = named.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least")).cast("long"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

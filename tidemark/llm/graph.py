@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b), bigint: (node, root) for each node but the roots, root the least node of its component.
 
     Each round keeps the edges of every node to the least neighbour only: a node with many neighbours is a partial minimum and a
-    join that can be split, never a list. Rounds end when the edges no longer change; only a count and a hash come to the driver.
+    join that can be split (both of its sides are tables), never a list. Rounds end when the edges no longer change; only a count and a hash come to the driver.
     """
     stars = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     stars, before = materialize(stars, "edges"), None
@@ -27,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(seen)
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
         stars = materialize(small, "edges")
 
@@ -70,7 +70,7 @@ def in_blocks(rows: DataFrame, group: str, weight: str, most: int) -> DataFrame:
     A group's rows go by hash of their id to as many blocks as its weight fills; a task gets two blocks at most, whatever the
     group's size. rows has the columns group and id, both bigint.
     """
-    sizes = rows.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
+    sizes = materialize(rows.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks")), "blocks")
     dealt = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("first"), F.greatest("block", j).alias("second")))
     return dealt.select("*", F.inline(pairs)).drop("blocks")

@@ -297,7 +297,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, class_id, n_links."""
     rows, known = text_links(docs)
     known = materialize(known, "text-classes")
-    least = known.groupBy("root").agg(F.min("first").alias("class_id"))
+    least = materialize(known.groupBy("root").agg(F.min("first").alias("class_id")), "text-names")
     named = known.join(least, "root").select("id", "class_id", "n_links")
     return rows.join(named, "id", "left").select("doc_id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -310,6 +310,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     _, known = text_links(docs.select("doc_id", "text"))
     known = materialize(known.where("n_links > 0"), "text-classes")
     best = known.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("z"), "first", "id")).alias("b"))
+    best = materialize(best, "text-names")
     losers = known.join(best, "root").select(F.col("id").alias("__id"), (F.col("id") == F.col("b.id")).alias("__best"), F.col("first").alias("__first"))
     rows = docs.withColumn("__t", text_id(F.col("text"))).join(losers, F.col("__t") == F.col("__id"), "left")
     stay = rows.where(F.col("__id").isNull() | (F.col("__best") & F.col("doc_id").eqNullSafe(F.col("__first"))))

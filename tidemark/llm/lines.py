@@ -65,8 +65,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialize(windows(docs, min_words), "windows")
     place = F.struct("doc", "key", "start", "end")
     shared = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("fp")
+    shared = materialize(shared, "shared")  # as a table it can meet a very frequent fingerprint in parts
     joined = materialize(found.join(shared, "fp", "left_semi"), "joined")
-    first = joined.groupBy("run_a", "run_b").agg(F.min(place).alias("first"))
+    first = materialize(joined.groupBy("run_a", "run_b").agg(F.min(place).alias("first")), "first")
     later = joined.join(first, ["run_a", "run_b"]).where(~F.struct("doc", "key", "start", "end").eqNullSafe(F.col("first")))
     return later.select("doc", "key", F.explode(F.sequence("start", "end")).alias("at")).groupBy("doc", "key").agg(F.collect_set("at").alias("gone"))
 

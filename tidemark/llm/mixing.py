@@ -102,15 +102,17 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     sizes = given.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes).withColumn("__blocks", F.floor(F.sum("target").over(W.partitionBy()) / BLOCK + 0.5).cast("long"))
     plan = apportion(plan, [], ["source"], "target", "__blocks").withColumnRenamed("quota", "__seats").drop("__blocks")
-    plan = materialize(plan.withColumn("__shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / SHARD).cast("long")), "sources")
+    # a number for each source: null sources then join and order by the same keys as others, in one shuffle
+    plan = plan.withColumn("__shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / SHARD).cast("long")).withColumn("__sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
+    plan = materialize(plan, "sources")
     named = plan.withColumnRenamed("source", "__s")
     rows = given.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__o", draw(F.col("doc_id"))).withColumn("__shard", F.col("__o") % F.col("__shards"))
-    shards = rows.groupBy("source", "__shard", "__seats").agg(F.sum("size").alias("__words"))
-    quotas = apportion(shards, ["source"], ["__shard"], "__words", "__seats")
-    quotas = quotas.select(F.col("source").alias("__s"), F.col("__shard").alias("__h"), F.col("__words"), F.least(F.col("quota") * BLOCK, F.col("__words") * CAP).alias("__take"))
-    ring = W.partitionBy("source", "__shard").orderBy("__o", "doc_id", "size")
+    shards = rows.groupBy("__sid", "__shard", "__seats").agg(F.sum("size").alias("__words"))
+    quotas = apportion(shards, ["__sid"], ["__shard"], "__words", "__seats")
+    quotas = quotas.select("__sid", "__shard", "__words", F.least(F.col("quota") * BLOCK, F.col("__words") * CAP).alias("__take"))
+    rows = rows.join(materialize(quotas, "quotas"), ["__sid", "__shard"])
+    ring = W.partitionBy("__sid", "__shard").orderBy("__o", "doc_id", "size")
     rows = rows.withColumn("__c", F.sum("size").over(ring.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__shard") == F.col("__h")))
     whole = F.when(F.col("__words") > 0, F.floor(F.col("__take") / F.col("__words"))).otherwise(0).cast("long")
     rows = rows.withColumn("passes", whole).withColumn("__rest", F.col("__take") - F.col("passes") * F.col("__words"))
     first = (draw(F.col("source"), F.col("__shard")) % F.greatest(F.ceil(F.col("__words") / BLOCK), F.lit(1))) * BLOCK

@@ -51,7 +51,7 @@ def knn_exact_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kernel_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _embeddings(spark, sf_dir)
-    return kernel.nearest_kernel(A.as_queries(refs), refs, n=WIDTH).select("id", "rn", "ref_id", "d")
+    return kernel.nearest_kernel(A.as_queries(refs), refs).select("id", "rn", "ref_id", "d")
 
 
 def partitioned_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +63,12 @@ def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes where a label of 5 or more counts as fraud."""
     refs = _embeddings(spark, sf_dir).withColumn("label", (F.col("label") >= 5).cast("int"))
     asked = A.as_queries(refs)
-    return verdict.verdicts(verdict.votes(asked, kernel.nearest_kernel(asked, refs, n=WIDTH)))
+    return verdict.verdicts(verdict.votes(asked, kernel.nearest_kernel(asked, refs)))
 
 
 def knn_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _embeddings(spark, sf_dir)
-    return verdict.majority(kernel.nearest_kernel(A.as_queries(refs), refs, n=WIDTH)).select("id", "label", "n")
+    return verdict.majority(kernel.nearest_kernel(A.as_queries(refs), refs)).select("id", "label", "n")
 
 
 def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,17 +307,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents without links, and those without words, all stay.
     """
-    _, known = text_links(docs.select("doc_id", "text"))
+    ids, known = text_links(docs.select("doc_id", "text"))
     known = materialize(known.where("n_links > 0"), "text-classes")
     best = known.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("z"), "first", "id")).alias("b"))
     best = materialize(best, "text-names")
     losers = known.join(best, "root").select(F.col("id").alias("__id"), (F.col("id") == F.col("b.id")).alias("__best"), F.col("first").alias("__first"))
-    rows = docs.withColumn("__t", text_id(F.col("text"))).join(losers, F.col("__t") == F.col("__id"), "left")
+    rows = docs.withColumn("__t", text_id(F.col("text"))).join(materialize(losers, "text-losers"), F.col("__t") == F.col("__id"), "left")
     stay = rows.where(F.col("__id").isNull() | (F.col("__best") & F.col("doc_id").eqNullSafe(F.col("__first"))))
-    # a row that stands twice, id and all, is one document twice: number the few rows chosen, by text
-    again = stay.where(F.col("__id").isNotNull()).groupBy("__id").count().where("count > 1")
-    if again.isEmpty():
+    if ids.where("id IS NOT NULL").groupBy("doc_id", "id").count().where("count > 1").isEmpty():
         return stay.select(*docs.columns)
+    # rows that stand twice, id and all, are two documents of one class: of those chosen, one of each text stays
     alone = stay.where(F.col("__id").isNull()).select(*docs.columns)
     return alone.unionByName(stay.where(F.col("__id").isNotNull()).dropDuplicates(["__id"]).select(*docs.columns))
 

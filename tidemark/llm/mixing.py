@@ -23,7 +23,7 @@ CAP = 2
 #: Words in a block, the unit that is allocated.
 BLOCK = 16
 #: Words in a shard of a source: what one task orders.
-SHARD = 1 << 21
+SHARD = 1 << 19
 SEED = 17
 
 

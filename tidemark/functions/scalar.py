@@ -81,6 +81,24 @@ def squared_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return total
 
 
+def manhattan_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    terms = [F.abs(x - y).cast("long") for x, y in zip(a, b)]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total
+
+
+def cosine_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """1 - cosine; 1 where either vector is zero."""
+    dot = sum((x.cast("double") * y for x, y in zip(a, b)), F.lit(0.0))
+    norm = lambda v: F.sqrt(sum((x.cast("double") * x for x in v), F.lit(0.0)))
+    return F.coalesce(1.0 - F.try_divide(dot, norm(a) * norm(b)), F.lit(1.0))
+
+
+METRICS = {"euclidean": squared_distance, "manhattan": manhattan_distance, "cosine": cosine_distance}
+
+
 def box_bound(q: Sequence[Column], low: Sequence[Column], high: Sequence[Column]) -> Column:
     """Squared distance from a point to a box: no member of the box is nearer."""
     outside = [F.greatest(lo - x, x - hi, F.lit(0)).cast("long") for x, lo, hi in zip(q, low, high)]

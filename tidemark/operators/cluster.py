@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import logging
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, DIMENSIONS, SCALE
 from tidemark.session import materialize
 
+LOG = logging.getLogger(__name__)
+
 MAGIC = "TIDEMARK"
 VERSION = 1
 
@@ -114,7 +118,7 @@ class Index:
 
 def write_index(assigned: DataFrame, path: str, iterations: int = DEFAULT.iterations, n: int = DIMENSIONS) -> None:
     """refs by tag, sorted by cluster; boxes; one row of facts, written last: an index without it is not whole."""
-    spark = assigned.sparkSession
+    spark, began = assigned.sparkSession, time.monotonic()
     assigned = materialize(assigned, "assigned")
     if assigned.isEmpty():
         raise ValueError("no references to index")
@@ -123,6 +127,7 @@ def write_index(assigned: DataFrame, path: str, iterations: int = DEFAULT.iterat
     boxes(assigned, n).write.mode("overwrite").parquet(f"{path}/clusters")
     facts = {"magic": MAGIC, "version": VERSION, "scale": SCALE, "iterations": iterations, "rows": assigned.count()}
     spark.range(1).select(F.lit(json.dumps(facts)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    LOG.info("index of %d rows written to %s in %.1f s", facts["rows"], path, time.monotonic() - began)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

@@ -6,6 +6,7 @@ may be shorter. Pieces are dealt out evenly into shards; each is packed in one t
 * best-fit decreasing gives the incumbent, the lower bound is the greater of the total and of what large pieces need;
 * bin completion fills the sequence of the largest piece with an undominated filling of least waste (one piece that fits
   exactly dominates all; else pairs and triples by falling largest piece), over the counts of each length;
+* while the best is above the bound, its wasteful sequences are filled anew together with some full ones, in other orders;
 * where the better of the two is above the bound, the most wasteful sequences are solved again by branch and bound over
   undominated fillings, pruned by the waste that an improvement can still afford.
 
@@ -17,6 +18,7 @@ string is given to the tokenizer itself, as its file defines it.
 from __future__ import annotations
 
 import base64
+import random
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +36,8 @@ END = 2
 SHARD_PIECES = 40_000
 #: Sequences that branch and bound solves again, and the nodes it may visit.
 TAIL, NODES = 24, 20_000
+#: Waste that a filling may leave before any other is taken; times that wasteful sequences are filled anew with others.
+SLACK, ROUNDS, SEED = 8, 80, 3
 
 
 def vocabulary_path(name: str) -> str:
@@ -129,6 +133,19 @@ class Lengths:
             both ^= 1 << a
         return None
 
+    def even_pair(self, total: int) -> tuple[int, int] | None:
+        """Two lengths that sum to total, as even as can be."""
+        half = (total + 1) // 2
+        both = (self.up & (self.down >> (self.size - total))) >> half
+        while both:
+            a = half + (both & -both).bit_length() - 1
+            if a >= total:
+                return None
+            if 2 * a > total or self.n[a] > 1:
+                return a, total - a
+            both &= both - 1
+        return None
+
     def triple(self, total: int, tries: int = 24) -> tuple[int, ...] | None:
         """Three lengths that sum to total, by falling largest."""
         a = self.largest(total - 2)
@@ -142,17 +159,18 @@ class Lengths:
         return None
 
 
-def completion(lengths, size: int) -> list[list[int]]:
-    """Bin completion: the largest piece, then a filling of least waste, again and again."""
+def completion(lengths, size: int, even: float = 0.0, rng: random.Random | None = None) -> list[list[int]]:
+    """Bin completion: the largest piece, then a filling of least waste, again and again. even: share of sequences that prefer even pairs."""
     left, bins = Lengths(lengths, size), []
     while first := left.largest():
         left.take(first)
         bins.append([first])
+        pair = left.even_pair if (rng.random() if rng else 0.5) < even else left.pair
         room = size - first
         while room and left.up:
             fill: tuple[int, ...] | None = None
-            for total in range(room, max(room - 8, 0), -1):
-                fill = (total,) if left.n[total] else left.pair(total) or left.triple(total)
+            for total in range(room, max(room - SLACK, 0), -1):
+                fill = (total,) if left.n[total] else pair(total) or left.triple(total)
                 if fill:
                     break
             if not fill:
@@ -259,7 +277,19 @@ def branch_and_bound(lengths, size: int, most: int, nodes: int = NODES) -> list[
 def pack(lengths, size: int = SEQUENCE) -> list[list[int]]:
     """Sequences as lists of lengths."""
     bound = least_bins(lengths, size)
-    best = min((best_fit(lengths, size), completion(lengths, size)), key=len)
+    best = min((best_fit(lengths, size), completion(lengths, size), completion(lengths, size, 1.0)), key=len)
+    rng = random.Random(SEED)
+    for _ in range(ROUNDS):
+        if len(best) <= bound:
+            break
+        best.sort(key=sum)
+        k = next((i for i, b in enumerate(best) if size - sum(b) <= SLACK), len(best))
+        k = min(max(k, 4), 200)
+        beside = set(rng.sample(range(k, len(best)), min(len(best) - k, 12 * k))) if len(best) > k else set()
+        some = [x for i, b in enumerate(best) if i < k or i in beside for x in b]
+        new = min((completion(some, size, rng.random(), rng) for _ in range(2)), key=len)
+        if len(new) <= min(k, len(best)) + len(beside):
+            best = new + [b for i, b in enumerate(best) if i >= k and i not in beside]
     for _ in range(8):
         if len(best) <= bound:
             break

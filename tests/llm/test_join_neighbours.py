@@ -59,6 +59,20 @@ def test_small_limits_split_and_block(spark, monkeypatch):
     assert found == brute(docs)
 
 
+def test_large_groups_that_differ_in_one_word(spark):
+    """More than LIMIT different texts with one core: their buckets have the same members in all runs, and every run must go on."""
+    docs = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for i in range(jaccard.LIMIT + 76):
+            words[30] = f"id{i}"
+            docs.append((len(docs), " ".join(words)))
+    each = jaccard.LIMIT + 76
+    found = jaccard.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert len(found) == len(docs)
+    assert all(x.class_id == x.doc_id // each * each and x.n_links == each - 1 for x in found)
+
+
 def test_one_of_each_class_stays(spark):
     docs = near_documents(3)
     frame = spark.createDataFrame(docs + docs[:3], "doc_id bigint, text string")

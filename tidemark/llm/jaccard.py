@@ -132,26 +132,27 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
 
 
 def split(rows: DataFrame) -> DataFrame:
-    """(path, id, sketch) to (path, id), a token further."""
+    """(id, paths, sketch) to (path, id), a token further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path, ids = [], []
-            for p, i, s in zip(batch.column("path").to_numpy(), batch.column("id").to_pylist(), batch.column("sketch").to_pylist()):
-                further = onward(np.frombuffer(s, np.uint64), np.array([p]).astype(np.uint64))[0]
+            for p, i, s in zip(batch.column("paths").to_pylist(), batch.column("id").to_pylist(), batch.column("sketch").to_pylist()):
+                further = np.concatenate(onward(np.frombuffer(s, np.uint64), np.array(p, np.int64).astype(np.uint64)))
                 path.append(further.astype(np.int64))
                 ids += [i] * len(further)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(path) if path else np.empty(0, np.int64)), pa.array(ids, pa.int64())], names=["path", "id"])
 
-    return rows.select("path", "id", "sketch").mapInArrow(run, "path bigint, id bigint")
+    return rows.select("paths", "id", "sketch").mapInArrow(run, "path bigint, id bigint")
 
 
 def buckets(sets: DataFrame, depth: int = DEPTH, limit: int = LIMIT) -> DataFrame:
-    """(path, id) of the buckets to compare. Buckets with the same members are kept once."""
+    """(path, id) of the buckets to compare. Of those with the same members one is kept; buckets still to be split all go on, each in its own run."""
     rows, done = sets.select(F.explode("paths").alias("path"), "id"), None
     for level in range(1, depth + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x")).where("n > 1")
-        sizes = materialize(sizes.groupBy("n", "s", "x").agg(F.min("path").alias("path")).select("path", "n"), f"sizes{level}")
+        own = F.when(F.lit(level < depth) & (F.col("n") > limit), F.col("path"))
+        sizes = materialize(sizes.groupBy("n", "s", "x", own.alias("own")).agg(F.min("path").alias("path")).select("path", "n"), f"sizes{level}")
         members = materialize(rows.join(sizes, "path"), f"members{level}")
         small = members if level == depth else members.where(F.col("n") <= limit)
         small = small.select("path", "id")
@@ -159,7 +160,9 @@ def buckets(sets: DataFrame, depth: int = DEPTH, limit: int = LIMIT) -> DataFram
         large = members.where(F.col("n") > limit)
         if level == depth or large.isEmpty():
             return done
-        rows = materialize(split(large.join(sets.select("id", "sketch"), "id")), f"split{level}")
+        # a set's paths together: its sketch is dealt out once, however many runs go on
+        paths = large.groupBy("id").agg(F.collect_list("path").alias("paths"))
+        rows = materialize(split(paths.join(sets.select("id", "sketch"), "id")), f"split{level}")
     return done
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import jaccard, neighbours
 
@@ -107,3 +108,32 @@ def test_neighbours_recall_with_many_cells(spark, monkeypatch):
     assert (counts <= near.sum(1)).all()
     assert counts.sum() >= 0.97 * near.sum()
     assert all(found[i].kept == (found[i].component_id == i) for i in range(1200))
+
+
+@pytest.mark.parametrize("whole", (0.7, 1.0))
+def test_neighbours_of_one_large_near_group(spark, monkeypatch, whole):
+    """A third of a label is one group of near copies that many cells share: every link is found, in cells and with the label as one cell."""
+    monkeypatch.setattr(neighbours.centroids, "__defaults__", (20_000, 64))
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    monkeypatch.setattr(neighbours, "WHOLE", whole, raising=False)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1800, 32))
+    near = x[0] / np.linalg.norm(x[0])
+    away = r.normal(size=(600, 32))
+    away -= (away @ near)[:, None] * near
+    x[:600] = 0.975 * near + np.sqrt(1 - 0.975**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.float32(x[r.permutation(1800)])
+    rows = [(i, [float(v) for v in x[i]], 1) for i in range(1800)]
+    found = {y.vec_id: y.n_links for y in neighbours.near_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert [found[i] for i in range(1800)] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+
+
+def test_cells_left_out_hold_no_partner():
+    """Tight groups reach few cells, and no linked vector is at home in one that is left out."""
+    r = np.random.default_rng(6)
+    x = neighbours.matrix(r.normal(size=(40, 16))[r.integers(0, 40, 2000)] + r.normal(size=(2000, 16)) * 0.2)
+    home, cells = neighbours.reached(x, neighbours.spherical_means(x, 30), 0.93)
+    a, b = np.nonzero(x @ x.T >= 0.93)
+    assert cells[a, home[b]].all() and cells.mean() < 0.7

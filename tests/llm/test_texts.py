@@ -128,3 +128,12 @@ def test_url_keys():
     assert warc.url_key("HTTPS://User@www.Example.org:443/a/B?c=d#e") == "org,example,www)/a/B?c=d"
     assert warc.url_key("http://x.org:8080") == "org,x:8080)/"
     assert warc.url_key(None) == "" and warc.url_key("http://[bad") == "http://[bad"
+
+
+def test_language_of_copied_texts_is_learned(spark):
+    """A language whose rows are nearly all copies of one text is taught from its different texts, and from all parts of them."""
+    from tidemark.llm import language
+
+    docs = spark.range(4000).selectExpr("'xx' AS lang", "if(id < 3940, 'samesame', concat(repeat('filler ', 400), 'tail', translate(id, '0123456789', 'abcdefghij'))) AS text")
+    words = language.language_samples(docs, 10)["xx"].decode().split()
+    assert sum(w.startswith("tail") for w in words) >= 9

@@ -1,7 +1,7 @@
 """Language ID by compression: a raw-content zstandard dictionary a language; the dictionary under which a text is smallest wins.
 
-The dictionaries come from a bounded sample of labelled texts: PER_LANGUAGE different texts a language, those of least hash, up to
-SLICE characters of each, for at most LANGUAGES languages. A dictionary holds DICTIONARY bytes of the words that most set its language's documents apart from every other's, the
+The dictionaries come from a bounded sample of labelled texts: PER_LANGUAGE different texts a language, those of least hash, SLICE
+characters of each in PIECES pieces from all over it, for at most LANGUAGES languages. A dictionary holds DICTIONARY bytes of the words that most set its language's documents apart from every other's, the
 most telling last; whole passages would match copies of themselves in texts of other languages. Scoring covers whole texts, in
 pieces of PIECE bytes so that the dictionary bears on every part of a text; the sizes of all pieces are summed.
 
@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import held, small_batches, strings, table
@@ -26,7 +26,7 @@ from tidemark.llm.common import held, small_batches, strings, table
 PER_LANGUAGE = 400
 #: Languages that can be learned: the most frequent ones.
 LANGUAGES = 1000
-SLICE = 2048
+SLICE, PIECES = 2048, 4
 DICTIONARY = 24 << 10
 PIECE = 512
 LEVEL = 12
@@ -43,16 +43,24 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower())
 
 
+def pieces(text: Column) -> Column:
+    """A text of up to SLICE characters whole, a longer one as PIECES pieces of it, the first at its start and the last at its end."""
+    n, size = F.length(text), SLICE // PIECES
+    at = [((n - size) * i / (PIECES - 1)).cast("int") + 1 for i in range(PIECES)]
+    return F.when(n <= SLICE, text).otherwise(F.concat_ws(" ", *[F.substring(text, a, F.lit(size)) for a in at]))
+
+
 def language_samples(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, bytes]:
     """Dictionary content by language, from labelled rows of docs (text, lang)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    each = known.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("lang").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return {}
-    # a hash below this lets twice per_language texts of each language through: as many rows, however many there are
-    cut = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * per_language / r["count"]))])
+    # a hash below this lets twice per_language different texts of each language through, or all, however many rows they stand in
+    cut = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * per_language / r.texts))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    near = known.where(draw < F.try_element_at(cut, F.col("lang"))).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SLICE).alias("part"))
+    near = known.where(draw < F.try_element_at(cut, F.col("lang"))).select("lang", F.xxhash64("text").alias("h"), pieces(F.col("text")).alias("part"))
     rows = near.dropDuplicates(["lang", "h"]).collect()
     texts: dict[str, list[set[str]]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.h % (1 << 30), r.h)):

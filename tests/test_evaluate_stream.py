@@ -58,6 +58,15 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert warm_up(spark, refs) == 32
 
 
+def test_stream_answers_every_line(spark, tmp_path):
+    refs = spark.createDataFrame([(i, [i * 100] * 14, i % 2) for i in range(30)], "ref_id bigint, q array<int>, label int")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("{}\n{}\nx\n{}\nx\n")
+    score_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", refs).awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.status for r in found) == [200, 200, 200, 400, 400] and len({r.id for r in found}) == 2
+
+
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_queries_equal_their_sql(spark, name):
     import duckdb

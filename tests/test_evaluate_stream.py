@@ -103,6 +103,15 @@ def test_ivf_votes_are_the_partitions(spark):
     assert kernel.MOST == 1 << 22
 
 
+def test_ivf_index_has_the_rounds_of_production(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registry.cluster, "k_means", lambda refs, iterations, n: seen.append(iterations) or refs)
+    monkeypatch.setattr(registry.cluster, "write_index", lambda assigned, path, iterations, n: seen.append(iterations) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        registry.QUERIES["ivf_search"](spark, "/root/testdata/sf0.001")
+    assert seen == [registry.DEFAULT.iterations] * 2
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["id", "frauds", "fraud_score", "approved"] and df.count() == 1500

@@ -75,8 +75,8 @@ def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes by clusters with repair; the clusters are k-means cells of the partitions, written and opened as an index."""
     refs = _embeddings(spark, sf_dir).withColumn("label", (F.col("label") >= 5).cast("int"))
     path = scratch_path(spark, "index")
-    assigned = cluster.k_means(refs, iterations=4, n=WIDTH)
-    cluster.write_index(assigned, path, 4, WIDTH)
+    assigned = cluster.k_means(refs, iterations=DEFAULT.iterations, n=WIDTH)
+    cluster.write_index(assigned, path, DEFAULT.iterations, WIDTH)
     found = cluster.open_index(spark, path)
     asked = A.as_queries(refs)
     return verdict.verdicts(verdict.votes(asked, search.nearest_ivf(asked, found.refs, found.clusters, n=WIDTH)))

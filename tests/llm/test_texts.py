@@ -80,6 +80,101 @@ def test_html_keeps_the_article_only():
     assert html.main_text("") == html.main_text("<nav>x</nav>") == html.main_text("<!-- <p>x</p>") == ""
 
 
+WRAPPED = "<nav><a href=/>Home</a></nav><article><h1>The title here</h1><p>This is the first paragraph of the story, with words.</p><p>Short one.</p></article><footer>&copy; x</footer>"
+
+
+@pytest.mark.parametrize("names", ["single", "single no-sidebar", "post has-header-image", "page comments-open", "theme layout-share", "content-with-sidebar"])
+def test_names_of_the_whole_page_ban_nothing(names):
+    for page in (f'<body class="{names}">{WRAPPED}</body>', f'<body><div class="{names}">{WRAPPED}</div></body>'):
+        assert html.main_text(page) == "The title here\nThis is the first paragraph of the story, with words.\nShort one."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("plain text only", "plain text only"),
+        ("<div><p>Short.</p><p>No.</p></div>", "Short.\nNo."),
+        ("<article><header><h1>Title</h1></header><p>Body of text here.</p></article>", "Title\nBody of text here."),
+        ("<object>fallback text of it</object><p>more</p>", "fallback text of it\nmore"),
+        ("<p>before</p><svg><path><p>after an unclosed svg.</p>", "before\nafter an unclosed svg."),
+        ('<p title="a > b">kept a < b & c</p>', "kept a < b & c"),
+        ("<aside><article><p>Teaser of another article.</p></article></aside><main><p>The text.</p></main>", "The text."),
+        ('<article><p>Text of the article.</p></article><div id="comments"><article><p>A reader says a long thing about all of it.</p></article></div>', "Text of the article."),
+        ("<form><div><h1>Head</h1><p>All of the page is in a form, as some servers do.</p></div></form>", "Head\nAll of the page is in a form, as some servers do."),
+        ("<article><p>one<select><option>x</select><button>Go</button> two.</article>", "one two."),
+        ("<article><p>never closed <b>at all", "never closed at all"),
+        ("<p>text<p class='x' ", "text"),
+    ],
+)
+def test_html_of_odd_pages(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<p x='", '<a b="', "<", "<div>", "</p>", "<!--", "<svg>", "<title>", "<li><div>", "<table><td>", "&"])
+def test_html_is_read_in_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html.main_text(part * 100_000)
+    assert time.process_time() - began < 10
+
+
+UNMARKED = """<div><div><a href=1>One</a></div><div><a href=2>Two</a></div></div><div><p>The first paragraph is a long one, with many words in it, and it ends here.</p>
+<p><a href=x>see this</a> too</p><p>The second paragraph is a long one as well, it has as many words, and it ends here too.</p></div><div><a href=3>About us</a></div>"""
+
+
+def energy(blocks, weights, side):
+    costs = sum(max(0, o) if not s else max(0, -o) for o, s in zip(html.odds(blocks, weights), side))
+    return costs + sum(w for a, b, w in html.ties_of(blocks) if side[a] != side[b])
+
+
+@pytest.mark.parametrize("page", [UNMARKED, WRAPPED, PAGE])
+def test_labels_of_whole_pages_are_brute_force(page):
+    blocks, weights = html.blocks_of(page), np.array(html.PRIOR)
+    side = html.minimum_cut(html.odds(blocks, weights), html.ties_of(blocks))
+    assert energy(blocks, weights, side) == pytest.approx(min(energy(blocks, weights, s) for s in itertools.product((False, True), repeat=len(blocks))))
+
+
+def test_the_cut_changes_labels():
+    """A linked line inside an unmarked article is boilerplate to the classifier; its ties keep it."""
+    blocks = html.blocks_of(UNMARKED)
+    odds = html.odds(blocks, np.array(html.PRIOR))
+    side = html.minimum_cut(odds, html.ties_of(blocks))
+    at = next(i for i, b in enumerate(blocks) if "see this" in b.text)
+    assert odds[at] < 0 and side[at]
+    assert [b.text[:3] for b, s in zip(blocks, side) if s] == ["The", "see", "The"]
+
+
+def article_of(page):
+    """The generator's pages, by its own markup: headings and paragraphs of the one article element."""
+    import html as entities
+    import re
+
+    inside = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    parts = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", inside[1].replace("<br>", " "))) if inside else []
+    return "\n".join(x for x in (" ".join(entities.unescape(p).split()) for p in parts) if x)
+
+
+def test_html_query_gives_the_articles(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    found = html.op6_html(spark, SF).collect()
+    assert len(found) == len(pages) and all(r.text == article_of(pages[r.page_id]) and r.n_chars == len(r.text) for r in found)
+
+
+def test_html_learns_from_landmarks(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = html.learn(pages)
+    assert np.array_equal(weights, html.learn(pages.unionByName(pages).repartition(5)))  # copies and order teach nothing
+    assert np.abs(weights - np.array(html.PRIOR)).max() > 0.5
+    none = pages.selectExpr("page_id", "url", "'<p>no landmarks</p>' AS html")
+    assert np.allclose(html.learn(none), html.PRIOR) and np.allclose(html.learn(pages.where("false")), html.PRIOR)
+    x, y = html.seeds(pages.where("html IS NOT NULL").first().html)
+    step = 1e-5
+    w = html.fit(x, y)
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + html.STRENGTH / 2 * ((w - np.array(html.PRIOR)) ** 2).sum()
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in np.concatenate([step * np.eye(len(w)), -step * np.eye(len(w))]))
+
+
 def test_html_does_not_cap_long_pages():
     page = "<article>" + "".join(f"<p>Paragraph {i} has words.</p>" for i in range(5000)) + "</article><footer>f</footer>"
     assert html.main_text(page).count("\n") == 4999

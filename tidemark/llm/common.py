@@ -39,6 +39,12 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def arrow_type(rows: DataFrame, name: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(rows.schema[name].dataType)
+
+
 def by_run(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut a stream that is sorted by keys into tables that hold one key each; holds one key's rows at a time."""
     rest: list[pa.RecordBatch] = []

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, strings, table
-from tidemark.llm.language import docs_type
+from tidemark.llm.common import arrow_type, small_batches, strings, table
 from tidemark.llm.storage import Reader, Writer
 from tidemark.session import materialize, scratch_path
 
@@ -89,7 +88,7 @@ def write_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch_path(spark, "media")
-    kind = docs_type(docs)
+    kind = arrow_type(docs, "doc_id")
     out = pa.schema([("doc_id", kind), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

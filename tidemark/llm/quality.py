@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import held, small_batches, strings, table
-from tidemark.llm.language import docs_type
 
 BUCKETS = 8192
 DIM = 32

@@ -45,17 +45,95 @@ def test_small_packings_are_optimal(lengths):
     assert len(found) == optimum(lengths, 20) >= packing.least_bins(lengths, 20)
 
 
-def test_branch_and_bound_beats_best_fit():
-    """Best fit decreasing opens a bin too many here."""
+def test_bin_completion_beats_best_fit():
+    """Best fit decreasing opens a bin too many here; there is none of three."""
     lengths = [44, 36, 36, 30, 24, 20, 10] * 2
     assert len(packing.pack(lengths, 100)) == packing.least_bins(lengths, 100) == 4
-    assert packing.branch_and_bound(lengths, 100, 3) is None
+    assert packing.complete(lengths, 100, 3, 10_000) is None
+    lengths = [6, 6, 5, 5, 4, 4, 3, 3, 2, 2] * 6  # triples and pairs that best fit takes apart
+    found = packing.complete(lengths, 10, 24, 10_000)
+    assert len(found) == 24 and sorted(itertools.chain(*found)) == sorted(lengths)
+
+
+def subsets(lengths, room):
+    """Every multiset of the lengths that fits."""
+    out = {()}
+    for x in sorted(lengths, reverse=True):
+        out |= {tuple(sorted((*f, x), reverse=True)) for f in out if sum(f) + x <= room}
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8), st.integers(0, 12), st.integers(0, 12), st.booleans())
+def test_fillings_are_undominated_and_miss_none(lengths, room, waste, even):
+    found = list(packing.fillings(packing.Lengths(lengths, 12), room, waste, even))
+    assert len(found) == len(set(found)) and [room - sum(f) for f in found] == sorted(room - sum(f) for f in found)
+    every = subsets(lengths, room)
+    found = {tuple(sorted(f, reverse=True)) for f in found}
+    assert found <= {f for f in every if room - sum(f) <= waste}
+
+    def covers(better, f):
+        """f's pieces can be dealt into places of better's pieces, or of the room beside them."""
+        places = [*better, room - sum(better)]
+
+        def deal(rest, left):
+            return not rest or any(left[i] >= rest[0] and deal(rest[1:], (*left[:i], left[i] - rest[0], *left[i + 1 :])) for i in range(len(left)))
+
+        return deal(f, tuple(places))
+
+    assert all(any(covers(g, f) for g in found) for f in every if room - sum(f) <= waste)
+
+
+def test_many_equal_pieces_need_no_depth():
+    assert len(packing.complete([1] * 3072, 1024, 3, 100)) == 3
+    assert packing.complete([1] * 3073, 1024, 3, 100) is None
+    assert len(packing.pack([1] * 3000 + [2] * 3000 + [700])) == -(-9700 // 1024)
 
 
 def test_large_packings_come_near_the_bound():
     r = np.random.default_rng(1)
     lengths = r.integers(1, 1025, 5000)
-    assert len(packing.pack(lengths)) <= packing.least_bins(lengths, 1024) * 1.002 + 1
+    found = packing.pack(lengths)
+    assert sorted(itertools.chain(*found)) == sorted(lengths) and max(map(sum, found)) <= 1024
+    assert len(found) <= packing.least_bins(lengths, 1024) * 1.002 + 1
+    assert len(found) < len(packing.best_fit(lengths, 1024))
+    assert packing.pack(lengths) == found
+
+
+def test_equal_lengths_and_ties():
+    assert sorted(map(len, packing.pack([512] * 7))) == [1, 2, 2, 2]
+    assert len(packing.pack([1024] * 5 + [1])) == 6 and packing.pack([]) == []
+
+
+ODD = ["<|endoftext|>", "a<|endoftext|> b", "'s's 'll I'm", "\n\n  \n x\t\ty ", "\x00\x1c\x85\xa0", "e\u0301 \u0661\u0662 \u2167 \u3000\u200b", "\U0001f469\u200d\U0001f4bb", "ﬁ ß İ", "\ufeffx", "\u1c89\U00016d40 \U0001e5d0"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["the", " ", "'", "'s", "1", "\n", "\t", "é", "字", "!", "\u00a0", "\U0001f600"]), max_size=30).map("".join))
+def test_ids_of_any_text_are_the_tokenizers(text):
+    assert encoder()(text) == plain_ids(text)
+
+
+def encoder(found=[]):  # noqa: B006
+    if not found:
+        found.append(packing.Encoder(packing.vocabulary_path("byte_bpe_50k.json")))
+    return found[0]
+
+
+def plain_ids(text):
+    return np.array(encoder().tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_ids_of_odd_and_of_all_settled_characters_are_the_tokenizers(spark):
+    import re
+
+    assert all(encoder()(t) == plain_ids(t) for t in ODD)
+    settled = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF and re.fullmatch(packing.SETTLED, chr(i))]
+    probes = [f"a{x}b {x}{x} {x}'s1{x}  {x}\n{x}" for x in settled]
+    found = encoder().tokenizer.encode_batch(probes, add_special_tokens=False)
+    assert all(encoder()(p) == np.array(f.ids, "<u4").tobytes() for p, f in zip(probes, found))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert all(encoder()(t) == plain_ids(t) for t in texts)
 
 
 def test_pieces_are_the_tokenizers_and_sequences_gapless(spark):

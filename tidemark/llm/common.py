@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch given to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
+#: Bits of a sieve: 2 MB.
+SIEVE_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,22 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def sieve(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """rows with __maybe: false for rows whose key (bigint) certainly is not in the column `name` of wanted.
+
+    One bit for each of SIEVE_BITS places, in rows of 32768: the table that is broadcast has SIEVE_BITS / 8 bytes at most, however many rows
+    wanted has. The more it has, the more rows pass; joins after it are exact.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.lit(9), c), F.lit(SIEVE_BITS))
+    bits = wanted.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("p"))
+    maps = bits.groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
+    found = rows.withColumn("__p", place(key)).join(F.broadcast(maps), F.bitmap_bucket_number(F.col("__p")) == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position(F.col("__p"))
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(__byte, CAST(bitmap_bit_position(__p) % 8 AS INT)) & 1")
+    return found.withColumn("__byte", byte).withColumn("__maybe", F.coalesce(bit == 1, F.lit(False))).drop("__p", "__bucket", "__map", "__byte")
+
+
 def arrow_type(rows: DataFrame, name: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, words_in
+from tidemark.llm.common import sieve, table, words_in
 from tidemark.session import materialize
 
 #: Words a run needs.
@@ -112,16 +112,20 @@ def covered(lines: Column, min_words: int) -> Column:
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text deduplicated, all columns kept, plus __lines and __gone: the lines it had and lost."""
     gone = repeated_lines(docs.select("doc_id", "text"), min_words).select(F.col("k1").alias("__h1"), F.col("k2").alias("__h2"), F.col("doc").alias("__doc"), F.col("gone").alias("__own"), F.col("copies").alias("__copies"))
-    rows = docs.withColumns({f"__{k}": c for k, c in _keys(F.col("text")).items()})
-    rows = rows.join(materialize(gone, "gone"), (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left")
-    rows = rows.withColumn("__at", F.when(F.col("__doc.id").eqNullSafe(F.col("doc_id")), F.col("__own")).otherwise(F.col("__copies")))
+    gone = materialize(gone, "gone")
+    rows = sieve(docs.withColumns({f"__{k}": c for k, c in _keys(F.col("text")).items()}), F.col("__k1"), gone, "__h1")
+    # texts that lose nothing are not dealt out to meet the others
+    whole = rows.where("NOT __maybe").select(*docs.columns, F.lit(None).cast("array<int>").alias("__at"))
+    rows = rows.where("__maybe").join(gone, (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left")
+    at = F.when(F.col("__doc.id").eqNullSafe(F.col("doc_id")), F.col("__own")).otherwise(F.col("__copies"))
+    rows = whole.unionByName(rows.select(*docs.columns, at.alias("__at")))
     lines = _split(F.col("text"))
     last = F.size(lines) - 1
     stay = F.array_except(F.sequence(F.lit(0), last), F.col("__at"))
     cleaned = F.when(F.col("__at").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), BREAK))
     # blank lines inside a deleted run stay out with it: sequence(start, end) names them too
     rows = rows.withColumns({"text": cleaned, "__lines": F.size(lines).cast("long"), "__gone": F.greatest(F.coalesce(F.size("__at"), F.lit(0)), F.lit(0)).cast("long")})
-    return rows.drop("__k1", "__k2", "__h1", "__h2", "__doc", "__own", "__copies", "__at")
+    return rows.drop("__at")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,12 @@ def plain_ids(text):
 def test_ids_of_odd_and_of_all_settled_characters_are_the_tokenizers(spark):
     import re
 
+    import regex
+
     assert all(encoder()(t) == plain_ids(t) for t in ODD)
+    letter, number, blank = (regex.compile(x).match for x in (r"\p{L}", r"\p{N}", r"\s"))
     settled = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF and re.fullmatch(packing.SETTLED, chr(i))]
+    assert all((bool(letter(x)), bool(number(x)), bool(blank(x))) == (bool(re.match(r"[^\W\d_]", x)), bool(re.match(r"\d", x)), bool(re.match(r"\s", x))) for x in settled)
     probes = [f"a{x}b {x}{x} {x}'s1{x}  {x}\n{x}" for x in settled]
     found = encoder().tokenizer.encode_batch(probes, add_special_tokens=False)
     assert all(encoder()(p) == np.array(f.ids, "<u4").tobytes() for p, f in zip(probes, found))

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import random
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -44,8 +46,10 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The words that the tokenizer's pattern gives, for texts of the characters below: there, letters are what \\w has beside digits and _.
+WORDS = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Characters whose class every Unicode version agrees on. A text with any other goes to the tokenizer whole.
-SETTLED = r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-\u0233\u0386-\u03CE\u0400-\u045F\u0531-\u0556\u0561-\u0586\u05D0-\u05EA\u0621-\u063A\u0641-\u064A\u0905-\u0939\u0E01-\u0E30\u2010-\u2027\u2030-\u205E\u20AC\u2190-\u21FF\u2500-\u257F\u3001-\u3003\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3\uFF01-\uFF5E\U0001F600-\U0001F64F]"
+SETTLED = r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-\xB1\xB4-\xB8\xBA\xBB\xBF-\u0233\u0386-\u03CE\u0400-\u045F\u0531-\u0556\u0561-\u0586\u05D0-\u05EA\u0621-\u063A\u0641-\u064A\u0905-\u0939\u0E01-\u0E30\u2010-\u2027\u2030-\u205E\u20AC\u2190-\u21FF\u2500-\u257F\u3001-\u3003\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3\uFF01-\uFF5E\U0001F600-\U0001F64F]"
 #: Words remembered with their ids; forgotten when full.
 REMEMBER = 300_000
 
@@ -79,12 +83,10 @@ class Encoder:
     """
 
     def __init__(self, json_path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(json_path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = re.compile(WORDS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.settled = re.compile(f"{SETTLED}*+").fullmatch
         self.words = Words(self.tokenizer.model)
@@ -95,6 +97,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def encoder(json_path: str) -> Encoder:
+    """The worker process's encoder: kept from task to task, as the code of a task is not."""
+    kept = sys.modules.setdefault("__packing_encoders__", types.ModuleType("__packing_encoders__")).__dict__
+    if json_path not in kept:
+        kept[json_path] = Encoder(json_path)
+    return kept[json_path]
+
+
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens."""
     first = n % size or min(n, size)
@@ -109,7 +119,7 @@ def token_pieces(docs: DataFrame, size: int = SEQUENCE, json_path: str | None =
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(json_path)
+        encode = encoder(json_path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

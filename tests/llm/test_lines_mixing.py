@@ -88,3 +88,20 @@ def test_mix_meets_targets_and_caps_and_repeats_itself(spark):
     assert all(abs(target - taken) <= mixing.BLOCK for target, taken in by.values())
     texts = mixing.mixed_documents(docs).collect()
     assert sum(len(t.text.split()) for t in texts) == sum(x[-1] for x in one)
+
+
+@pytest.mark.parametrize("group", (2, 4096))
+def test_quotas_by_groups_of_shards_meet_the_target(spark, monkeypatch, group):
+    monkeypatch.setattr(mixing, "SHARD", 400)
+    monkeypatch.setattr(mixing, "GROUP", group)
+    r = random.Random(8)
+    docs = spark.createDataFrame([(None if i % 3 else i, " ".join(f"w{i}x{j}" for j in range(r.randint(1, 60))), "s") for i in range(300)], DOCUMENTS)
+    found = mixing.mix_sources(docs).collect()
+    size = sum(x.size for x in found)
+    assert abs(sum(x.taken for x in found) - 1.5 * size) <= mixing.BLOCK and all(x.taken <= 2 * x.size for x in found)
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(100)], DOCUMENTS)
+    drawn = {x[0] for x in docs.select(mixing.draw(docs.doc_id, docs.text)).collect()}
+    assert len(drawn) == 100

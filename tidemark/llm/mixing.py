@@ -24,6 +24,8 @@ CAP = 2
 BLOCK = 16
 #: Words in a shard of a source: what one task orders.
 SHARD = 1 << 19
+#: Shards whose quotas one task works out; a source's blocks go to such groups first, then to their shards.
+GROUP = 4096
 SEED = 17
 
 
@@ -93,10 +95,12 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Rows of docs with size, source_size, target, passes (whole copies) and the word ranges tail and head of a further, cut copy.
 
     Result columns: doc_id, source, size, source_size, target, taken, passes, tail_from, tail_to, head_to, and the columns
-    named in carry. A source's shards each get an integer quota of blocks; in a shard, documents stand in seeded order on a
+    named in carry. A source's shards each get an integer quota of blocks (by groups of GROUP shards); in a shard, documents stand in seeded order on a
     ring of blocks, and the quota is read off the ring from a seeded block on.
     """
-    given = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), *[F.col(c).alias(f"__c_{c}") for c in carry])
+    # by text too: rows without an id, or with one and the same, are dealt out as others are
+    salt = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    given = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), salt.alias("__h"), *[F.col(c).alias(f"__c_{c}") for c in carry])
     if not carry:
         given = materialize(given, "sizes")
     sizes = given.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -106,9 +110,12 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     plan = plan.withColumn("__shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / SHARD).cast("long")).withColumn("__sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     plan = materialize(plan, "sources")
     named = plan.withColumnRenamed("source", "__s")
-    rows = given.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__o", draw(F.col("doc_id"))).withColumn("__shard", F.col("__o") % F.col("__shards"))
+    rows = given.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__o", draw(F.col("doc_id"), F.col("__h"))).withColumn("__shard", F.col("__o") % F.col("__shards"))
     shards = rows.groupBy("__sid", "__shard", "__seats").agg(F.sum("size").alias("__words"))
-    quotas = apportion(shards, ["__sid"], ["__shard"], "__words", "__seats")
+    shards = shards.withColumn("__group", F.floor(F.col("__shard") / GROUP))
+    groups = apportion(shards.groupBy("__sid", "__group", "__seats").agg(F.sum("__words").alias("__words")), ["__sid"], ["__group"], "__words", "__seats")
+    groups = materialize(groups.select("__sid", "__group", F.col("quota").alias("__part")), "groups")
+    quotas = apportion(shards.drop("__seats").join(groups, ["__sid", "__group"]), ["__sid", "__group"], ["__shard"], "__words", "__part")
     quotas = quotas.select("__sid", "__shard", "__words", F.least(F.col("quota") * BLOCK, F.col("__words") * CAP).alias("__take"))
     rows = rows.join(materialize(quotas, "quotas"), ["__sid", "__shard"])
     ring = W.partitionBy("__sid", "__shard").orderBy("__o", "doc_id", "size")
@@ -155,7 +162,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT AS h FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighted AS (
@@ -176,16 +183,22 @@ WITH sized AS (
   WHERE r <= n GROUP BY source
 ), sharded AS (
   SELECT d.*, t.source_size, t.target, coalesce(s.seats, 0) AS seats,
-         ('0x' || substr(md5('{SEED}|' || coalesce(d.doc_id::VARCHAR, '-')), 1, 8))::BIGINT AS o, ceil(greatest(t.source_size, 1) / {SHARD}.0)::BIGINT AS shards
+         ('0x' || substr(md5('{SEED}|' || coalesce(d.doc_id::VARCHAR, '-') || '|' || d.h::VARCHAR), 1, 8))::BIGINT AS o, ceil(greatest(t.source_size, 1) / {SHARD}.0)::BIGINT AS shards
   FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN seats s ON s.source IS NOT DISTINCT FROM t.source
 ), ringed AS (
-  SELECT *, o % shards AS shard FROM sharded
+  SELECT *, o % shards AS shard, (o % shards) // {GROUP} AS grp FROM sharded
 ), words AS (
-  SELECT source, shard, seats, sum(size)::BIGINT AS words FROM ringed GROUP BY ALL
+  SELECT source, shard, grp, seats, sum(size)::BIGINT AS words FROM ringed GROUP BY ALL
+), gwords AS (
+  SELECT source, grp, seats, sum(words)::BIGINT AS words FROM words GROUP BY ALL
+), part AS (
+  SELECT source, grp, count(*)::BIGINT AS part FROM (
+    SELECT source, grp, seats, row_number() OVER (PARTITION BY source ORDER BY words / (2 * k - 1) DESC, grp, k) AS r FROM (
+      SELECT *, unnest(range(1, seats + 2)) AS k FROM gwords WHERE words > 0)) WHERE r <= seats GROUP BY ALL
 ), quota AS (
   SELECT source, shard, count(*)::BIGINT AS quota FROM (
-    SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY words / (2 * k - 1) DESC, shard, k) AS r FROM (
-      SELECT *, unnest(range(1, seats + 2)) AS k FROM words WHERE words > 0)) WHERE r <= seats GROUP BY ALL
+    SELECT source, shard, part, row_number() OVER (PARTITION BY source, grp ORDER BY words / (2 * k - 1) DESC, shard, k) AS r FROM (
+      SELECT w.*, p.part, unnest(range(1, p.part + 2)) AS k FROM words w JOIN part p ON w.source IS NOT DISTINCT FROM p.source AND w.grp = p.grp WHERE w.words > 0)) WHERE r <= part GROUP BY ALL
 ), ring AS (
   SELECT r.*, w.words, least(coalesce(q.quota, 0) * {BLOCK}, w.words * {CAP}) AS take,
          (('0x' || substr(md5('{SEED}|' || coalesce(r.source, '-') || '|' || r.shard::VARCHAR), 1, 8))::BIGINT % greatest(ceil(w.words / {BLOCK}.0)::BIGINT, 1)) * {BLOCK} AS a,

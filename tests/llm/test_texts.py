@@ -219,6 +219,39 @@ def test_warc_round_trip_and_lookup(spark, tmp_path, monkeypatch):
     assert warc.lookup(missing, tops).count() == 0
 
 
+def test_archives_are_whole_warc_files(spark):
+    """Read by hand: a warcinfo record first, then HTTP responses and revisits whose lengths and digests are right."""
+    import gzip
+
+    page = "<p>" + "long enough to be shared " * 9
+    frame = spark.createDataFrame([(1, "http://a/1", page), (2, "http://a/2", page), (3, None, "short ü"), (4, "http://a/4", None)], "page_id bigint, url string, html string")
+    records = []
+    for uri in {r.file for r in warc.write_archives(frame.coalesce(1)).collect()}:
+        system, path = opened(uri)
+        with system.open_input_stream(path, compression=None) as f:
+            data = gzip.decompress(f.read())
+        mine = []
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            assert lines[0] == "WARC/1.1"
+            names = dict(x.split(": ", 1) for x in lines[1:])
+            n = int(names["Content-Length"])
+            mine.append((names, rest[:n]))
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            data = rest[n + 4 :]
+        assert mine[0][0]["WARC-Type"] == "warcinfo" and all(x["WARC-Type"] != "warcinfo" for x, _ in mine[1:])
+        records += mine[1:]
+    assert len(records) == 4
+    for names, block in records:
+        http, _, payload = block.partition(b"\r\n\r\n")
+        assert names["Content-Type"] == "application/http; msgtype=response" and http.startswith(b"HTTP/1.1 200 OK\r\n")
+        if names["WARC-Type"] == "response":
+            assert names["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest() and f"Content-Length: {len(payload)}".encode() in http
+        else:
+            assert payload == b"" and names["X-Refers-To-Page"] == "1" and names["X-Page"] == "2"
+
+
 def test_url_keys():
     assert warc.url_key("HTTPS://User@www.Example.org:443/a/B?c=d#e") == "org,example,www)/a/B?c=d"
     assert warc.url_key("http://x.org:8080") == "org,x:8080)/"

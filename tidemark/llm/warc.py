@@ -1,6 +1,6 @@
 """WARC archives with a two-level capture index.
 
-Each page becomes a gzip member of an archive: a response, or a revisit (headers only) of the page with the least id among those with
+Each page becomes a gzip member of an archive, after a warcinfo record: a response, or a revisit (its HTTP head only) of the page with the least id among those with
 an equal payload of at least REVISIT_BYTES. Index lines, keyed by reversed host and path, are sorted over all parts and written in
 compressed blocks of BLOCK lines; each part has a sparse directory of its blocks, and the parts' first keys are the top. A lookup
 finds its part and then its block by binary search, reads that block's range, then the records' ranges.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_run, small_batches, strings, table
+from tidemark.llm.common import by_run, sieve, small_batches, strings, table
 from tidemark.llm.storage import Reader, Writer
 from tidemark.session import materialize, scratch_path
 
@@ -53,8 +53,19 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
 
 
+def _member(lines: list[str], block: bytes) -> bytes:
+    return gzip.compress("\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n", LEVEL, mtime=0)
+
+
+def archive_head(name: str) -> bytes:
+    """The record that an archive begins with."""
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "Content-Type: application/warc-fields"]
+    return _member(lines, b"software: tidemark\r\nformat: WARC File Format 1.1\r\n")
+
+
 def write_record(url: str, page_id: int | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    block = b"" if refers_to is not None else payload
+    """A page as a gzip member: an HTTP response; of a revisit only its head."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (b"" if refers_to is not None else payload)
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Date: {DATE}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Payload-Digest: sha256:{digest}"]
     if url:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
@@ -62,27 +73,28 @@ def write_record(url: str, page_id: int | None, payload: bytes, digest: str, ref
         lines.append(f"X-Page: {page_id}")
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
-    lines += ["Content-Type: text/html", f"Content-Length: {len(block)}", "", ""]
-    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", LEVEL, mtime=0)
+    return _member([*lines, "Content-Type: application/http; msgtype=response"], block)
 
 
 def read_record(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers by lower-case name, and the block."""
+    """Headers by lower-case name, and the payload: what stands after the HTTP head of the block."""
     head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
     names = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     headers = {k.lower(): v for k, v in names.items()}
-    return headers, rest[: int(headers["content-length"])]
+    return headers, rest[: int(headers["content-length"])].partition(b"\r\n\r\n")[2]
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to)."""
+    """(page_id, url, payload, digest, refers_to). Only payloads that may be shared are dealt out to meet the shared ones."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    long_ones = pages.select(F.col("page_id").cast("long"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).where(F.octet_length("payload") >= REVISIT_BYTES)
-    first = long_ones.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = materialize(first, "shared-payloads")  # as a table it can meet a very frequent payload in parts
-    rows = rows.join(first, "digest", "left")
-    return rows.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    first = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialize(first.withColumn("h", F.xxhash64("digest")), "shared-payloads")  # as a table it can meet a very frequent payload in parts
+    rows = sieve(rows, F.xxhash64("digest"), first, "h")
+    out = ["page_id", "url", "payload", "digest"]
+    met = rows.where("__maybe").select(*out).join(first, "digest", "left")
+    met = met.select(*out, F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    return met.unionByName(rows.where("NOT __maybe").select(*out, F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -99,6 +111,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
             for page, url, payload, digest, refers in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")]):
                 if archive is None:
                     archive = Writer(folder, ".warc.gz")
+                    archive.write(archive_head(archive.uri))
                 member = write_record(url or "", page, payload, digest, refers)
                 rows.append((url_key(url), page, archive.uri, archive.write(member), len(member)))
                 if archive.at >= ARCHIVE_BYTES:

@@ -37,8 +37,9 @@ ROWS = 4096
 
 
 def matrix(lists) -> np.ndarray:
-    """Unit rows in double precision."""
+    """Unit rows in double precision; scaled by the largest component first, so that no square under- or overflows."""
     x = np.array(lists, np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

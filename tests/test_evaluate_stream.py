@@ -89,18 +89,30 @@ def test_queries_equal_their_sql(spark, name):
         assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
 
 
-def test_ivf_votes_are_the_partitions(spark):
-    """With as many probes as clusters a query's answer is exact; here most partitions are probed whole."""
-    from tidemark.operators import kernel, search, verdict
-    from tidemark.plans import adapters as A
+def test_judged_requests_without_an_answer_are_errors(spark):
+    expected = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False)], "id int, expected_fraud boolean")
+    answers = spark.createDataFrame([(1, False, 200, 1.0), (2, True, 200, 1.0), (4, True, 500, 1.0), (9, True, 200, 1.0)], "id int, approved boolean, http_status int, latency_ms double")
+    r = evaluate.confusion(evaluate.judged(expected, answers)).first()
+    assert (r.tp, r.tn, r.fp, r.fn, r.err, r.n) == (1, 1, 0, 0, 2, 4)
 
-    sf = "/root/testdata/sf0.001"
-    refs = A.embedding_refs(spark, sf).withColumn("label", (F.col("label") >= 5).cast("int"))
-    exact = {r.id: r.frauds for r in verdict.votes(A.as_queries(refs), search.nearest_in_partition(A.as_queries(refs), refs, n=64)).collect()}
-    found = {r.id: r.frauds for r in registry.QUERIES["ivf_search"](spark, sf).collect()}
-    assert all(found[i] == exact[i] for i in found if 0 < found[i] < 5)
-    assert np.mean([found[i] == exact[i] for i in exact]) > 0.95
-    assert kernel.MOST == 1 << 22
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from tidemark import session
+
+    class Context:
+        master, applicationId = "spark://host:7077", "none"
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.shared_dir(Session())
+    Context.master = "local[4]"
+    assert session.shared_dir(Session()).startswith("file:///")
 
 
 def test_ivf_index_has_the_rounds_of_production(spark, monkeypatch):
@@ -126,5 +138,5 @@ def test_plans_stay_cheap(spark):
     plan = registry.QUERIES["features_orders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "l_extendedprice" not in plan
     refs = A.embedding_refs(spark, "/root/testdata/sf0.001")
-    plan = search.nearest(A.as_queries(refs), refs, n=64)._jdf.queryExecution().executedPlan().toString()
+    plan = search.nearest_pairs(A.as_queries(refs), refs, n=64)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -81,8 +81,19 @@ def test_payload_files(spark, tmp_path):
 
 def test_http_framing(spark):
     text = b"POST /x HTTP/1.1\r\ncontent-length: 2\r\n\r\n{}GET /ready HTTP/1.1\r\n\r\nPUT / HTTP/1.1\r\nContent-Length:3\r\n\r\nabcPOST / HTTP/1.1\r\nContent-Length: 9\r\n\r\nabc"
-    rows = payloads.http_requests(spark.createDataFrame([(bytearray(text),), (None,)], "buffer binary")).collect()
-    assert [(r.place, r.method, r.body, r.action) for r in rows] == [(0, "POST", "{}", "score"), (1, "GET", "", "ready"), (2, "PUT", "abc", "reject")]
+    rows = payloads.http_requests(spark.createDataFrame([(7, bytearray(text)), (8, None), (9, bytearray(b"GET "))], "c int, buffer binary"), keys=("c",)).collect()
+    assert [(r.c, r.place, r.method, r.length, r.body, r.action) for r in rows] == [
+        (7, 0, "POST", 2, "{}", "score"), (7, 1, "GET", -1, "", "ready"), (7, 2, "PUT", 3, "abc", "reject"), (7, 3, None, None, None, "wait"), (9, 0, None, None, None, "wait"),
+    ]
+    assert bytes(rows[3].rest) == b"POST / HTTP/1.1\r\nContent-Length: 9\r\n\r\nabc" and bytes(rows[4].rest) == b"GET " and rows[0].rest is None
+
+
+@pytest.mark.parametrize("cut", [1, 20, 43, 47, 60])
+def test_requests_cut_into_chunks_are_whole_again(spark, cut):
+    text = "POST /x HTTP/1.1\r\nContent-Length: 4\r\n\r\n\"ü\"GET / HTTP/1.1\r\n\r\n".encode()
+    chunks = spark.createDataFrame([(1, 5, bytearray(text[cut:])), (1, 2, bytearray(text[:cut])), (2, 1, bytearray(text)), (1, 9, None)], "c int, seq int, chunk binary")
+    found = payloads.http_requests(payloads.joined_chunks(chunks, "c", "seq", "chunk"), keys=("c",)).collect()
+    assert sorted((r.c, r.place, r.body, r.action) for r in found) == [(c, i, b, a) for c in (1, 2) for i, b, a in ((0, '"ü"', "score"), (1, "", "ready"))]
 
 
 CORPUS = [

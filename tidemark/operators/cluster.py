@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, DIMENSIONS, SCALE
+from tidemark.operators.search import tags_of
 from tidemark.session import materialize
 
 LOG = logging.getLogger(__name__)
@@ -24,7 +25,7 @@ VERSION = 1
 
 
 def clusters_for(n: int, most: int = DEFAULT.max_clusters) -> int:
-    """The root of the rows, up to most."""
+    """The root of the rows, up to most: small partitions do not get clusters of one member each. A fixed number is `most` of a partition of most^2 rows."""
     return max(1, min(most, int(n**0.5)))
 
 
@@ -76,12 +77,30 @@ def assign(refs: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     return refs.mapInArrow(run, schema)
 
 
-def step(assigned: DataFrame, centres: dict[int, np.ndarray], n: int = DIMENSIONS) -> dict[int, np.ndarray]:
-    """Means of the members; an empty cluster keeps its centre."""
-    sums = assigned.groupBy("tag", "cluster_id").agg(*[F.avg(F.get("q", i).cast("double")).alias(f"m{i}") for i in range(n)])
+def step(refs: DataFrame, centres: dict[int, np.ndarray], n: int = DIMENSIONS) -> dict[int, np.ndarray]:
+    """Means of the members of the nearest centres; an empty cluster keeps its centre. A task gives one row of sums for each cluster it has met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {tag: np.zeros((len(c), n)) for tag, c in centres.items()}
+        counts = {tag: np.zeros(len(c), np.int64) for tag, c in centres.items()}
+        for batch in batches:
+            tags = batch.column("tag").to_numpy()
+            x = batch.column("q").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+            for tag in np.unique(tags).tolist():
+                mine = x[tags == tag]
+                found = nearest_centre(mine, centres[tag])
+                counts[tag] += np.bincount(found, minlength=len(counts[tag]))
+                np.add.at(sums[tag], found, mine)
+        for tag in counts:
+            at = np.flatnonzero(counts[tag])
+            if len(at):
+                total = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(at) + 1, n, dtype=np.int32)), pa.array(sums[tag][at].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tag, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[tag][at]), total], names=["tag", "cluster_id", "n", "total"])
+
+    parts = refs.select("tag", "q").mapInArrow(run, "tag int, cluster_id int, n bigint, total array<double>")
     moved = {tag: c.copy() for tag, c in centres.items()}
-    for r in sums.collect():
-        moved[r.tag][r.cluster_id] = [r[f"m{i}"] for i in range(n)]
+    for r in parts.groupBy("tag", "cluster_id").agg(F.sum("n").alias("n"), *[F.sum(F.get("total", i)).alias(f"m{i}") for i in range(n)]).collect():
+        moved[r.tag][r.cluster_id] = [r[f"m{i}"] / r.n for i in range(n)]
     return moved
 
 
@@ -90,7 +109,7 @@ def k_means(refs: DataFrame, iterations: int = DEFAULT.iterations, most: int = D
     refs = materialize(refs, "refs")
     centres = seeds(refs, most)
     for i in range(iterations - 1):
-        centres = step(assign(refs, centres), centres, n)
+        centres = step(refs, centres, n)
     return assign(refs, centres)
 
 
@@ -135,7 +154,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     if meta.get("magic") != MAGIC or meta.get("version") != VERSION or meta.get("scale") != SCALE:
         raise ValueError(f"{path} is not an index of this version")
     refs = spark.read.parquet(f"{path}/refs")
-    tags = sorted(r.tag for r in refs.select("tag").distinct().collect())
+    tags = tags_of(refs)
     if not tags:
         raise ValueError(f"{path} has no partition")
     return Index(refs, spark.read.parquet(f"{path}/clusters"), tags, meta)

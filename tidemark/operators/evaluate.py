@@ -17,13 +17,27 @@ def confusion(results: DataFrame) -> DataFrame:
     return results.agg(count(fine & fraud & denied, "tp"), count(fine & ~fraud & ~denied, "tn"), count(fine & ~fraud & denied, "fp"), count(fine & fraud & ~denied, "fn"), count(~F.coalesce(fine, F.lit(False)), "err"), F.count(F.lit(1)).alias("n"))
 
 
+def judged(expected: DataFrame, answers: DataFrame) -> DataFrame:
+    """expected (id, expected_fraud) with the answer to each (id, approved, http_status, latency_ms); a request without an answer has status 0, which counts as an error."""
+    named = answers.select(F.col("id").alias("__id"), "approved", "http_status", "latency_ms")
+    return expected.join(named, F.col("id") == F.col("__id"), "left").withColumn("http_status", F.coalesce("http_status", F.lit(0))).drop("__id")
+
+
+def p99_of(latency: str = "latency_ms") -> Column:
+    return F.percentile(latency, F.lit(0.99))
+
+
 def p99(results: DataFrame, latency: str = "latency_ms") -> DataFrame:
-    return results.agg(F.percentile(latency, F.lit(0.99)).alias("p99"))
+    return results.agg(p99_of(latency).alias("p99"))
 
 
-def dataset_summary(results: DataFrame) -> DataFrame:
+def summary() -> list[Column]:
     total, frauds = F.count(F.lit(1)), F.count_if("expected_fraud")
-    return results.agg(total.alias("total"), frauds.alias("fraud_count"), F.try_divide(frauds.cast("double"), total).alias("fraud_rate"))
+    return [total.alias("total"), frauds.alias("fraud_count"), F.try_divide(frauds.cast("double"), total).alias("fraud_rate")]
+
+
+def dataset_summary(results: DataFrame) -> DataFrame:
+    return results.agg(*summary())
 
 
 def weighted_errors() -> Column:

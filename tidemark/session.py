@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,10 +34,13 @@ def build_session(app: str = "tidemark", master: str | None = None, cores: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a temporary one on a local master; an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that the machines of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         own = tempfile.mkdtemp(prefix="tidemark-")

@@ -43,6 +43,33 @@ def test_context_sums_are_brute_force(spark):
     assert all([r[f"d{k}"] for k in range(quality.DIM)] == list(want[b]) for b, r in found.items())
 
 
+def test_scores_are_the_network_by_hand(spark):
+    """Word vectors, pooling and the two layers again in plain Python, for documents of all lengths."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    vectors, net = quality.quality_model(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert net.layers is not None
+    size = vectors.shape[1]
+    average = vectors[-1].astype(float)
+    (w, b, u, c), mean, scale = net.layers, np.broadcast_to(net.mean, (2 * size,)), np.broadcast_to(net.scale, (2 * size,))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.score(docs, vectors, net).collect():
+        ids, last = [], None
+        for word in re.findall(r"\w+|[^\w\s]+", texts[r.doc_id]):
+            own = zlib.crc32((word.lower() + ("^" if word.isupper() and len(word) > 1 else "")).encode()) % quality.BUCKETS
+            ids.append(quality.REPEAT if own == last else own)
+            last = own
+        n = len(ids) + quality.PRIOR_WORDS
+        x = [(sum(float(vectors[i][k]) for i in ids) + quality.PRIOR_WORDS * average[k]) / n for k in range(size)]
+        square = [(sum(float(vectors[i][k]) ** 2 for i in ids) + quality.PRIOR_WORDS * (average[k] ** 2 + 1 / size)) / n for k in range(size)]
+        x += [math.sqrt(max(s - m * m, 0)) for s, m in zip(square, x)]
+        hidden = [math.tanh(sum((x[k] - mean[k]) / scale[k] * w[k][j] for k in range(2 * size)) + b[j]) for j in range(quality.HIDDEN)]
+        z = (sum(h * v for h, v in zip(hidden, u)) + c[0]) / net.temperature
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-3) and r.predicted == int(r.score >= 0.5)
+
+
 def test_language_on_held_out_documents(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = language.op10_language(spark, SF).collect()
@@ -199,6 +226,26 @@ def test_media_round_trip_and_sharing(spark):
     assert names and all(n.endswith(".png") for n in names)
 
 
+def test_media_query_by_hand(spark):
+    """Every column of the query again from the texts, the features by plain statistics."""
+    import math
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    found = media.op4_media(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        raw = texts[r.doc_id].encode()
+        payload = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        stored = Reader().read(r.shard, r.offset, r.length)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        mean = sum(payload) / len(payload)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in payload) / len(payload))
+        edge = sum(abs(a - b) for a, b in itertools.pairwise(payload)) / (len(payload) - 1)
+        values = dict(x.split("=") for x in r.feature.split(";"))
+        assert [float(values[k]) for k in ("mean", "std", "edge")] == pytest.approx([mean, spread, edge], abs=1e-3) and int(values["values"]) == len(set(payload))
+
+
 def test_warc_round_trip_and_lookup(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 4)
     r = random.Random(1)

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import jaccard, neighbours
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, jaccard, neighbours
 
 
 def near_documents(seed, n=220):
@@ -83,6 +85,25 @@ def test_one_of_each_class_stays(spark):
     assert {want[i][0] for i in kept} == {c for c, _ in want.values()}
 
 
+def test_texts_with_equal_first_hashes_are_told_apart(spark, monkeypatch):
+    """A first hash of five values: nearly all texts share it with others, and the links are the same."""
+    whole = jaccard.text_hash
+    monkeypatch.setattr(jaccard, "text_hash", lambda text, seed: F.pmod(whole(text, seed), F.lit(5)) if seed == 1 else whole(text, seed))
+    docs = near_documents(9, 80)
+    found = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == brute(docs)
+
+
+@pytest.mark.parametrize("bits", (1 << 16, 1 << 24))
+def test_a_sieve_lets_every_wanted_row_through(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    rows, wanted = spark.range(20_000).selectExpr("xxhash64(id) AS k", "id"), spark.range(0, 20_000, 50).selectExpr("xxhash64(id) AS w").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS w"))
+    found = {r.id: r["__maybe"] for r in common.sieve(rows, F.col("k"), wanted, "w").collect()}
+    assert len(found) == 20_000 and all(found[i] for i in range(0, 20_000, 50))
+    assert sum(found.values()) - 400 < (300 if bits < 1 << 20 else 5)
+    assert not any(r["__maybe"] for r in common.sieve(rows, F.col("k"), wanted.where("false"), "w").collect())
+
+
 def test_runs_reach_the_recall():
     q = 1.0
     for _ in range(jaccard.DEPTH):
@@ -137,3 +158,27 @@ def test_cells_left_out_hold_no_partner():
     home, cells = neighbours.reached(x, neighbours.spherical_means(x, 30), 0.93)
     a, b = np.nonzero(x @ x.T >= 0.93)
     assert cells[a, home[b]].all() and cells.mean() < 0.7
+
+
+def test_tiny_and_huge_vectors_link_as_others_do(spark):
+    rows = [(0, [1e-170, 2e-170], 1), (1, [1e170, 2.01e170], 1), (2, [1.0, 2.02], 1), (3, [-1e-300, 1.0], 1), (4, [0.0, 1e200], 1), (5, [0.0, 0.0], 1), (6, [None, 1.0], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 2.0], None), (9, None, 1)]
+    found = {y.vec_id: (y.n_links, y.component_id, y.kept) for y in neighbours.near_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert [found[i] for i in range(5)] == [(2, 0, True), (2, 0, False), (2, 0, False), (1, 3, True), (1, 3, False)]
+    assert all(found[i] == (0, i, True) for i in range(5, 10))
+
+
+def test_links_equal_the_sql_where_there_are_links(spark, tmp_path):
+    """The registered query and its SQL on a table that holds links: exact copies, near ones, chains and another label."""
+    import duckdb
+
+    r = np.random.default_rng(15)
+    x = r.normal(size=(400, 24))
+    x[100:200] = x[:100] + r.normal(size=(100, 24)) * 0.25
+    x[200:260] = x[:60]
+    rows = [(i, [float(v) for v in np.float32(x[i])], int(i % 100 % 3) if i < 390 else None) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted((y.vec_id, y.n_links, y.component_id, y.kept) for y in neighbours.op7_neighbours(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({neighbours.ORACLE})").fetchall())
+    assert found == want and sum(n for _, n, _, _ in found) > 20

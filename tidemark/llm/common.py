@@ -48,8 +48,9 @@ def sieve(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFra
     wanted has. The more it has, the more rows pass; joins after it are exact.
     """
     place = lambda c: F.pmod(F.xxhash64(F.lit(9), c), F.lit(SIEVE_BITS))
-    bits = wanted.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("p"))
-    maps = bits.groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
+    bits = wanted.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("p")).select(F.bitmap_bucket_number("p").alias("__bucket"), F.bitmap_bit_position("p").alias("__bit"))
+    # the keys are dealt out, not a map of each task's
+    maps = bits.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
     found = rows.withColumn("__p", place(key)).join(F.broadcast(maps), F.bitmap_bucket_number(F.col("__p")) == F.col("__bucket"), "left")
     at = F.bitmap_bit_position(F.col("__p"))
     byte = F.conv(F.hex(F.substring("__map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

@@ -10,7 +10,7 @@
 4. Texts that hang together by such links are compared exactly, on all shingles, each with all others of its component, in pairs of blocks; so
    a pair that never met in a bucket is found all the same if both are linked to others. Links are counted, not listed.
 
-Equal texts are one set throughout, and count as often as they stand. Texts are told apart by 64-bit hashes.
+Equal texts are one set throughout, and count as often as they stand. Texts are told apart by two independent 64-bit hashes.
 
 Cases: a word is what stands between ASCII white space; a text of one to four words is one shingle of them all; null texts and texts without
 words link with nothing; rows that repeat are documents each and link with each other; a class is named by its least doc_id, null only if it has
@@ -20,6 +20,7 @@ no other; an empty table gives an empty result; other columns are ignored by the
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, small_batches, strings, table
+from tidemark.llm.common import WORD, sieve, small_batches, strings, table
 from tidemark.llm.graph import Union, components, each_pair_of_blocks, in_blocks, once
 from tidemark.session import materialize
 
@@ -101,16 +102,25 @@ def onward(tokens: np.ndarray, paths: np.ndarray) -> list[np.ndarray]:
     return [mix(t + np.uint64(1)) ^ p for t, p in zip((salted[i][c] for i, c in enumerate(chosen)), paths)]
 
 
-def text_id(text: Column) -> Column:
-    return F.xxhash64(text)
+def text_hash(text: Column, seed: int) -> Column:
+    return F.when(text.isNotNull(), F.xxhash64(F.lit(seed), text))
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """docs with __t, a number of each different text (null for null). Texts that share the first hash but not the second are numbered by a third."""
+    text = F.col("text")
+    both = docs.where("text IS NOT NULL").select(text_hash(text, 1).alias("__c"), text_hash(text, 2).alias("g"))
+    clash = both.groupBy("__c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("__c")
+    rows = docs.withColumn("__h", text_hash(text, 1)).join(materialize(clash, "clashes"), F.col("__h") == F.col("__c"), "left")
+    return rows.withColumn("__t", F.when(F.col("__c").isNull(), F.col("__h")).otherwise(text_hash(text, 3))).drop("__h", "__c")
 
 
 def sketches(docs: DataFrame, runs: int) -> DataFrame:
-    """(id, sketch, paths) of each different text that has words; paths: the first token's, of all runs."""
+    """docs (__t, text) to (id, sketch, paths) of each different text that has words; paths: the first token's, of all runs."""
     small_batches(docs.sparkSession)
     starts = np.array([mix1(SEED * 1000 + r) for r in range(runs)], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, before = Words(), set()
         for batch in batches:
             out = []
@@ -121,14 +131,18 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
                     before.add(i)
                 tokens = shingles(text, seen)[:SKETCH]
                 if len(tokens):
-                    paths = np.concatenate(onward(tokens, starts))
-                    out.append((i, tokens.tobytes(), paths.astype(np.int64)))
+                    out.append((i, tokens.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["id", "sketch", "paths"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["id", "sketch"])
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [np.concatenate(onward(np.frombuffer(x, np.uint64), starts)).astype(np.int64) for x in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.int64()))], names=["id", "sketch", "paths"])
 
-    rows = docs.where("text IS NOT NULL").select(text_id(F.col("text")).alias("id"), "text")
-    found = materialize(rows.mapInArrow(run, "id bigint, sketch binary, paths array<bigint>"), "sketches")
-    return materialize(found.groupBy("id").agg(F.first(F.struct("sketch", "paths")).alias("s")).select("id", "s.sketch", "s.paths"), "sets")
+    rows = docs.where("text IS NOT NULL").select(F.col("__t").alias("id"), "text").mapInArrow(sketch, "id bigint, sketch binary")
+    once_each = rows.groupBy("id").agg(F.first("sketch").alias("sketch"))
+    return materialize(once_each.mapInArrow(begin, "id bigint, sketch binary, paths array<bigint>"), "sets")
 
 
 def split(rows: DataFrame) -> DataFrame:
@@ -150,6 +164,8 @@ def buckets(sets: DataFrame, depth: int = DEPTH, limit: int = LIMIT) -> DataFram
     """(path, id) of the buckets to compare. Of those with the same members one is kept; buckets still to be split all go on, each in its own run."""
     rows, done = sets.select(F.explode("paths").alias("path"), "id"), None
     for level in range(1, depth + 1):
+        shared = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("path"), f"shared{level}")
+        rows = sieve(rows, F.col("path"), shared, "path").where("__maybe").drop("__maybe")
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x")).where("n > 1")
         own = F.when(F.lit(level < depth) & (F.col("n") > limit), F.col("path"))
         sizes = materialize(sizes.groupBy("n", "s", "x", own.alias("own")).agg(F.min("path").alias("path")).select("path", "n"), f"sizes{level}")
@@ -162,7 +178,9 @@ def buckets(sets: DataFrame, depth: int = DEPTH, limit: int = LIMIT) -> DataFram
             return done
         # a set's paths together: its sketch is dealt out once, however many runs go on
         paths = large.groupBy("id").agg(F.collect_list("path").alias("paths"))
-        rows = materialize(split(paths.join(sets.select("id", "sketch"), "id")), f"split{level}")
+        paths = materialize(paths, f"paths{level}")
+        met = sieve(sets.select("id", "sketch"), F.col("id"), paths, "id").where("__maybe").drop("__maybe")
+        rows = materialize(split(paths.join(met, "id")), f"split{level}")
     return done
 
 
@@ -272,20 +290,22 @@ def link_texts(t: pa.Table) -> Iterator[pa.RecordBatch]:
 def candidate_components(docs: DataFrame) -> DataFrame:
     """(id, component) of the texts that hang together with another by their sketches."""
     sets = sketches(docs, runs_for(RECALL, DEPTH))
-    rows = buckets(sets).join(sets.select("id", "sketch"), "id").withColumnRenamed("path", "group").withColumn("one", F.lit(1))
+    members = buckets(sets)
+    met = sieve(sets.select("id", "sketch"), F.col("id"), members, "id").where("__maybe").drop("__maybe")
+    rows = members.join(met, "id").withColumnRenamed("path", "group").withColumn("one", F.lit(1))
     links = each_pair_of_blocks(in_blocks(rows, "group", "one", LIMIT), "group", link_sketches, "a bigint, b bigint")
     stars = components(links)
     return materialize(stars.select(F.col("node").alias("id"), F.col("root").alias("component")).unionByName(stars.select(F.col("root").alias("id"), F.col("root").alias("component")).distinct()), "candidates")
 
 
 def text_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, id) of every row, id null without words; (id, root, n_links, n) of the texts with links or copies)."""
+    """docs (doc_id, text, __t) to ((doc_id, id) of every row, id null without words; (id, root, n_links, n) of the texts)."""
     has_words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD))
-    rows = materialize(docs.select("doc_id", F.when(has_words, text_id(F.col("text"))).alias("id")), "text-ids")
+    rows = materialize(docs.select("doc_id", F.when(has_words, F.col("__t")).alias("id")), "text-ids")
     counts = rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    chosen = candidate_components(docs).join(counts, "id").select("component", F.col("id").alias("__id"), "n", F.col("first").alias("__first"))
-    # by text and document: the copies of a text are dealt out, and one of them is used
-    texts = docs.where("text IS NOT NULL").withColumn("__t", text_id(F.col("text")))
+    chosen = materialize(candidate_components(docs).join(counts, "id").select("component", F.col("id").alias("__id"), "n", F.col("first").alias("__first")), "chosen")
+    # only texts that may be chosen are dealt out; by text and document, so that the copies of a text are too, and one of them is used
+    texts = sieve(docs.where("text IS NOT NULL").select("doc_id", "text", "__t"), F.col("__t"), chosen, "__id").where("__maybe")
     texts = texts.join(chosen, (F.col("__t") == F.col("__id")) & F.col("doc_id").eqNullSafe(F.col("__first")))
     texts = texts.select(F.col("component").alias("group"), F.col("__id").alias("id"), "n", "text", F.greatest(F.octet_length("text"), F.lit(TEXT_BYTES)).alias("bytes"))
     found = each_pair_of_blocks(in_blocks(texts, "group", "bytes", BLOCK_BYTES), "group", link_texts, "id bigint, root bigint, n_links bigint")
@@ -298,7 +318,7 @@ def text_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, class_id, n_links."""
-    rows, known = text_links(docs)
+    rows, known = text_links(with_ids(docs.select("doc_id", "text")))
     known = materialize(known, "text-classes")
     least = materialize(known.groupBy("root").agg(F.min("first").alias("class_id")), "text-names")
     named = known.join(least, "root").select("id", "class_id", "n_links")
@@ -308,20 +328,22 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents of a class but one: that of the least doc_id (null last), of equal ids the least text hash.
 
-    Documents without links, and those without words, all stay.
+    Documents without links, and those without words, all stay. Rows that stand twice, id and text alike, are two documents of one class; the one whose other columns come first stays.
     """
-    ids, known = text_links(docs.select("doc_id", "text"))
+    named = with_ids(docs)
+    known = text_links(named.select("doc_id", "text", "__t"))[1]
     known = materialize(known.where("n_links > 0"), "text-classes")
     best = known.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("z"), "first", "id")).alias("b"))
     best = materialize(best, "text-names")
-    losers = known.join(best, "root").select(F.col("id").alias("__id"), (F.col("id") == F.col("b.id")).alias("__best"), F.col("first").alias("__first"))
-    rows = docs.withColumn("__t", text_id(F.col("text"))).join(materialize(losers, "text-losers"), F.col("__t") == F.col("__id"), "left")
-    stay = rows.where(F.col("__id").isNull() | (F.col("__best") & F.col("doc_id").eqNullSafe(F.col("__first"))))
-    if ids.where("id IS NOT NULL").groupBy("doc_id", "id").count().where("count > 1").isEmpty():
-        return stay.select(*docs.columns)
-    # rows that stand twice, id and all, are two documents of one class: of those chosen, one of each text stays
-    alone = stay.where(F.col("__id").isNull()).select(*docs.columns)
-    return alone.unionByName(stay.where(F.col("__id").isNotNull()).dropDuplicates(["__id"]).select(*docs.columns))
+    losers = materialize(known.join(best, "root").select(F.col("id").alias("__id"), (F.col("id") == F.col("b.id")).alias("__best"), F.col("first").alias("__first")), "text-losers")
+    # documents without links are not dealt out to meet the others
+    rows = sieve(named, F.col("__t"), losers, "__id")
+    alone = rows.where("NOT __maybe").select(*docs.columns)
+    met = rows.where("__maybe").join(losers, F.col("__t") == F.col("__id"), "left")
+    stay = met.where(F.col("__best") & F.col("doc_id").eqNullSafe(F.col("__first")))
+    order = [f.name for f in docs.schema if not re.search("map|variant", f.dataType.simpleString())]
+    one = stay.groupBy("__id").agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("r")).select("r.*")
+    return alone.unionByName(met.where(F.col("__id").isNull()).select(*docs.columns)).unionByName(one)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ WIDTH = 64  # dimensions of the embeddings
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(A.vectors(spark, sf_dir), "vectors")
+    return materialize(A.vectors(spark, sf_dir).select("id", "customer", "requested_ts", "q", "tag"), "vectors")
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def request_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir)
     refs = materialize(A.reference_vectors(spark, sf_dir, asked), "references")
-    return verdict.verdicts(verdict.votes(asked, kernel.nearest_kernel(asked, refs)))
+    return verdict.verdicts(asked.select("id", "q").join(verdict.votes_by_vector(asked, kernel.Corpus(refs)), "q"))
 
 
 def fraud_score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
